@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_NAMES = ["q_runs"]
+_NAMES = ["q_runs", "q_tokens"]
 
 
 def modules() -> list:
