@@ -3,13 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from subtide.llm.encode import encode_corpus
+from subtide.llm.pieces import MAX_TOKENS, plan_pieces, split_documents
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_corpus(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return encode_corpus(_documents(spark, sf_dir))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A token has a byte at least, so shorter texts can't be over the limit.
+    long = _documents(spark, sf_dir).where(F.octet_length("text") > MAX_TOKENS)
+    return plan_pieces(long).where(F.size("pieces") > 1).select("doc_id").distinct()
+
+
+def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_documents(_documents(spark, sf_dir)).drop("ids")
 
 
-QUERIES = {"p7_ids": p7_ids}
+QUERIES = {"p7_ids": p7_ids, "p9_found": p9_found, "p9_pieces": p9_pieces}
 ORACLES: dict[str, str] = {}

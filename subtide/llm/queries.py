@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_NAMES = ["q_runs", "q_tokens"]
+_NAMES = ["q_runs", "q_tokens", "q_leaks"]
 
 
 def modules() -> list:
