@@ -14,7 +14,7 @@ def p6_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     cue = spark.read.parquet(f"{sf_dir}/cue.parquet")
-    return collapse_runs(cue).where("n_events > 1").select("file_id", "first_seq", "last_seq")
+    return collapse_runs(cue, min_events=2).select("file_id", "first_seq", "last_seq")
 
 
 QUERIES = {"p6_found": p6_found, "p6_runs": p6_runs}

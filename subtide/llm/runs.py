@@ -44,8 +44,9 @@ def collapse_runs(
     start: str = "start_ms",
     end: str = "end_ms",
     block: int = BLOCK,
+    min_events: int = 1,
 ) -> DataFrame:
-    """One row per run, single events included.
+    """One row per run of min_events or more, by default single events too.
 
     Columns: entity, first_seq, last_seq, n_events, from_ms, to_ms,
     duration_ms, content (of the first event).
@@ -117,18 +118,17 @@ def collapse_runs(
         )
     )
     low, high = F.col("_b") * block - 1, F.col("_b") * block + block - 1
-    lone = (
-        events.where(F.col("_v").isNull() & (F.col("_p") != low))
-        .select("_k", F.col("_p").alias("_first"), F.col("_p").alias("_last"), "_s", "_e", F.struct("_p", "_c").alias("_c"))
-    )
     meets = (F.col("_first") == low) | (F.col("_last") == high)
-    across = Window.partitionBy("_k").orderBy("_first", "_last")
-    stitched = (
-        runs.where(meets)
-        .withColumn("_top", F.max("_last").over(across.rowsBetween(Window.unboundedPreceding, -1)))
+    if min_events > 1:
+        runs = runs.where(meets | (F.col("_last") > F.col("_first")))
+    # Runs that reach a block's edge meet in one group of the entity, the others stay in their block's.
+    runs = runs.withColumn("_at", F.when(meets, F.lit(None)).otherwise(F.col("_b")))
+    across = Window.partitionBy("_k", "_at").orderBy("_first", "_last")
+    whole = (
+        runs.withColumn("_top", F.max("_last").over(across.rowsBetween(Window.unboundedPreceding, -1)))
         .withColumn("_opens", F.when(F.col("_first") <= F.col("_top"), 0).otherwise(1))
         .withColumn("_run", F.sum("_opens").over(across.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("_k", "_run")
+        .groupBy("_k", "_at", "_run")
         .agg(
             F.min("_first").alias("_first"),
             F.max("_last").alias("_last"),
@@ -136,13 +136,15 @@ def collapse_runs(
             F.max("_e").alias("_e"),
             F.min("_c").alias("_c"),
         )
-        .drop("_run")
+        .drop("_at", "_run")
     )
+    if min_events == 1:
+        lone = events.where(F.col("_v").isNull() & (F.col("_p") != low)).select(
+            "_k", F.col("_p").alias("_first"), F.col("_p").alias("_last"), "_s", "_e", F.struct("_p", "_c").alias("_c")
+        )
+        whole = whole.unionByName(lone)
     return (
-        runs.where(~meets)
-        .drop("_b", "_run")
-        .unionByName(stitched)
-        .unionByName(lone)
+        whole.where(F.col("_last") - F.col("_first") + 1 >= min_events)
         .select(
             F.col("_k").alias(entity),
             F.col("_first").alias("first_seq"),
