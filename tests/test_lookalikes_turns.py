@@ -1,0 +1,41 @@
+"""p3_found and p4_found on a few rows."""
+
+import pytest
+from pyspark.sql import SparkSession
+
+import __spark_entry__
+from subtide.llm.lookalikes import collation_key
+from subtide.llm.turns import utterances
+
+CAST = ((1, "Corvane Ludovarn", "professor"), (2, "Meriet Whistoff", None))
+
+
+@pytest.fixture(scope="module")
+def spark():
+    return SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+
+
+def test_collation_key():
+    assert collation_key("The Offs\u0435t H\u043eur\u200b") == collation_key("The Offset Hour")
+    assert collation_key("re\u0301sume\u0301") == collation_key("r\u00e9sum\u00e9") != collation_key("resume")
+    assert collation_key("Offset") != collation_key("offset")
+
+
+def test_utterances():
+    assert utterances("[00:17:43] >> Prof. Ludovarn (on phone): Um, here.", CAST) == [(1, "here.")]
+    assert utterances("LUDRVARN: It is. Whistoff, Meriet：No.", CAST) == [(1, "It is."), (2, "No.")]
+    assert utterances("- [Meriet] (sighs) Go.\n- <i>C. Ludovarn:</i> Stay.", CAST) == [(2, "Go."), (1, "Stay.")]
+    assert utterances("Note: that is all.", CAST) == [(None, "Note: that is all.")]
+    assert utterances("PROFESSOR: Uh-huh... [laughs]", CAST) == []
+
+
+def test_queries(spark, tmp_path):
+    cue = [
+        (1, 1, "Nobody yet."), (1, 2, "LUDOVARN: One."), (1, 2, "LUDOVARN: One."), (1, 3, "Meriet: Um."), (1, 4, "Two. Meriet: Three."), (1, 5, None),
+        (2, 1, "Th\u0435 Hour"), (2, 2, "The Hour"), (2, 3, "the Hour"),
+    ]
+    spark.createDataFrame(cue, "file_id long, seq long, content string").write.parquet(f"{tmp_path}/cue.parquet")
+    spark.createDataFrame([(1, *p) for p in CAST], "file_id long, speaker_id long, full_name string, role_label string").write.parquet(f"{tmp_path}/cast_member.parquet")
+    spark.createDataFrame([(7, "The Hour")], "phrase_id long, phrase string").write.parquet(f"{tmp_path}/phrase.parquet")
+    found = {n: sorted(map(tuple, __spark_entry__.queries()[n](spark, str(tmp_path)).collect())) for n in ("p3_found", "p4_found")}
+    assert found == {"p3_found": [(2, 1, 7)], "p4_found": [(1, 1, 2, 4), (1, 2, 4, 4)]}
