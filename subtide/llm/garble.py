@@ -225,7 +225,7 @@ def _undo_east(text: str) -> str | None:
 
 
 #: Texts of one script and no sign of damage, told at a glance.
-_SOUND = re.compile("[\\x00-\\x7f♪“”’…–—]*(?:[А-яЁё]+[\\x00-\\x7f♪]*)+|[\\x00-\\x7f♪áéíóúñãõçàêôâüöäßèîûœąćęłńóśźżÉÀÓÚÁÍ¿¡’…–—]*")
+_SOUND = re.compile("[\\x00-\\x7f♪“”’…–—]*[А-яЁё][А-яЁё\\x00-\\x7f♪]*|[\\x00-\\x7f♪áéíóúñãõçàêôâüöäßèîûœąćęłńóśźżÉÀÓÚÁÍ¿¡’…–—]*")
 _LOST = re.compile("�|[\x80-\x84\x86-\x9f]")
 #: Rows that hold neither of these are sound.
 SUSPECT = r"[^\x00-\x7F]"
