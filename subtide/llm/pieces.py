@@ -25,9 +25,8 @@ MAX_TOKENS = 1024
 OVERLAP = 64
 #: A piece is sought to have at least this share of the limit.
 LEAST_SHARE = 0.5
-#: Tokens on either side of a boundary that are compared, and buckets of a bag.
+#: Tokens on either side of a boundary that are compared.
 BLOCK = 96
-BUCKETS = 64
 
 
 class Splitter:
@@ -37,7 +36,7 @@ class Splitter:
         self.enc, self.max, self.overlap = enc, max_tokens, overlap
         size = max(enc.bytes_of) + 1
         self.n_bytes = np.zeros(size, np.int64)
-        self.bucket = np.full(size, -1, np.int64)  # -1: no letters or digits, not part of cohesion
+        self.counted = np.zeros(size, bool)  # has letters or digits, part of cohesion
         self.opens = np.zeros(size, bool)  # may start a piece by its own first byte
         self.inside = np.zeros(size, bool)  # starts in the middle of a character
         self.closes = np.zeros(size, bool)  # punctuation after which a cut is natural
@@ -46,20 +45,24 @@ class Splitter:
             self.inside[i] = 0x80 <= b[0] < 0xC0
             self.opens[i] = b[:1].isspace()
             self.closes[i] = b[-1:] in (b";", b"}", b".", b",", b">", b")", b"!", b"?", b"\n")
-            if any(c >= 0x80 or chr(c).isalnum() for c in b):
-                self.bucket[i] = (i * 2654435761 >> 7) % BUCKETS
+            self.counted[i] = any(c >= 0x80 or chr(c).isalnum() for c in b)
 
     def _valley(self, ids: np.ndarray, gaps: np.ndarray, first: int, last: int) -> int:
         """The gap of first..last with the deepest valley of cohesion; the later one of equals."""
         low, high = max(0, first - 2 * BLOCK), min(len(ids), last + 2 * BLOCK)
-        bucket = self.bucket[ids[low:high]]
-        bags = np.zeros((high - low + 1, BUCKETS), np.float32)
-        rows = np.flatnonzero(bucket >= 0)
-        bags[rows + 1, bucket[rows]] = 1
-        bags = bags.cumsum(axis=0)
+        tokens = ids[low:high]
+        counted = self.counted[tokens]
+        own, number = np.unique(tokens, return_inverse=True)
         near = gaps[(gaps > low) & (gaps < high)] - low
-        before = bags[near] - bags[np.maximum(near - BLOCK, 0)]
-        behind = bags[np.minimum(near + BLOCK, high - low)] - bags[near]
+
+        def bags(at: np.ndarray) -> np.ndarray:
+            """The bag of the tokens at each row's positions, exact: a column for each distinct token."""
+            there = (at >= 0) & (at < len(tokens))
+            there &= counted[np.where(there, at, 0)]
+            places = there.nonzero()[0] * len(own) + number[at[there]]
+            return np.bincount(places, minlength=len(at) * len(own)).reshape(len(at), len(own)).astype(np.float32)
+
+        before, behind = bags(near[:, None] - 1 - np.arange(BLOCK)), bags(near[:, None] + np.arange(BLOCK))
         size = np.sqrt((before**2).sum(1) * (behind**2).sum(1))
         like = np.where(size > 0, (before * behind).sum(1) / np.maximum(size, 1e-9), 0.0)
         best, at = -1.0, last

@@ -1,0 +1,15 @@
+"""Cuts of the splitter."""
+
+from types import SimpleNamespace
+
+import numpy as np
+
+from subtide.llm.pieces import Splitter
+
+
+def test_cohesion_counts_tokens_exactly():
+    # Tokens of the second topic fell into the same buckets of 64 as those of the first.
+    alike = [i for i in range(5000) if (i * 2654435761 >> 7) % 64 == 5]
+    splitter = Splitter(SimpleNamespace(bytes_of={i: b"a" for i in range(5000)}))
+    ids = np.array([alike[0]] * 700 + [alike[1]] * 700, np.int32)
+    assert splitter.cuts(ids, np.arange(20, 1400, 20))[0] == (0, 700)
