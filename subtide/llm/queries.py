@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_NAMES = ["q_runs", "q_tokens", "q_leaks", "q_lookalikes", "q_turns", "q_garble"]
+_NAMES = ["q_runs", "q_tokens", "q_leaks", "q_lookalikes", "q_turns", "q_garble", "q_markup"]
 
 
 def modules() -> list:
