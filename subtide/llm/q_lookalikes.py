@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from subtide.llm.lookalikes import find_lookalikes
+from subtide.llm.lookalikes import consistent_forms, find_lookalikes
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,6 +12,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_lookalikes(cue, phrase, ["file_id", "seq"]).select("file_id", "seq", "phrase_id").distinct()
 
 
-QUERIES = {"p3_found": p3_found}
+def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consistent_forms(spark.read.parquet(f"{sf_dir}/cue.parquet"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms}
 
 ORACLES: dict[str, str] = {}

@@ -1,12 +1,9 @@
 """p5_found on a few rows."""
 
-from pyspark.sql import SparkSession
-
 import __spark_entry__
 
 
-def test_garbled_cues_come_out_once(tmp_path):
-    spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+def test_garbled_cues_come_out_once(spark, tmp_path):
     bad = "Älter".encode().decode("cp1252")
     cue = [(1, 1, bad), (1, 1, bad), (1, 2, "Älter"), (1, 3, None), (1, 4, ""), (1, 5, "lost �")]
     spark.createDataFrame(cue, "file_id long, seq long, content string").write.parquet(f"{tmp_path}/cue.parquet")

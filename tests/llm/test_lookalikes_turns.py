@@ -1,24 +1,33 @@
 """p3_found and p4_found on a few rows."""
 
 import pytest
-from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 import __spark_entry__
-from subtide.llm.lookalikes import collation_key
+from subtide.llm.lookalikes import COLLATION, consistent_forms, find_lookalikes, shape
 from subtide.llm.turns import utterances
 
 CAST = ((1, "Corvane Ludovarn", "professor"), (2, "Meriet Whistoff", None))
 
 
-@pytest.fixture(scope="module")
-def spark():
-    return SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+ALIKE = [
+    ("The Offs\u0435t H\u043eur\u200b", "The Offset Hour"), ("re\u0301sume\u0301", "r\u00e9sum\u00e9"), ("\uff34\uff48\uff45\u3000\uff28\uff4f\uff55\uff52", "The Hour"),
+    ("o\ufb03ce", "office"), ("\uff76\uff9e\uff97\uff7d", "\u30ac\u30e9\u30b9"), ("\u0451", "\u00eb"), ("m\u0142yn", "ml\u0338yn"), ("a\u00a0 b ", "a b"),
+]
+UNLIKE = [("resume", "r\u00e9sum\u00e9"), ("Offset", "offset"), ("a", "b"), ("\u0434", "g")]
 
 
-def test_collation_key():
-    assert collation_key("The Offs\u0435t H\u043eur\u200b") == collation_key("The Offset Hour")
-    assert collation_key("re\u0301sume\u0301") == collation_key("r\u00e9sum\u00e9") != collation_key("resume")
-    assert collation_key("Offset") != collation_key("offset")
+@pytest.mark.parametrize(("pairs", "same"), [(ALIKE, True), (UNLIKE, False)])
+def test_classes(spark, pairs, same):
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", (F.collate(shape("a"), COLLATION) == F.collate(shape("b"), COLLATION)).alias("same"))
+    assert [r for r in rows.collect() if r.same is not same] == []
+
+
+def test_forms_of_a_class(spark):
+    df = spark.createDataFrame([("caf\u00e9",)] * 2 + [("cafe\u0301",), ("cafe",), (None,), ("",), ("\u200b",), ("\u200c",)], "content string")
+    assert sorted(map(tuple, consistent_forms(df).collect())) == [("cafe\u0301", "caf\u00e9", 1), ("caf\u00e9", "caf\u00e9", 2)]
+    agreed = spark.createDataFrame([(1, "caf\u00e9"), (2, None), (3, "")], "phrase_id long, phrase string")
+    assert [tuple(r) for r in find_lookalikes(df.withColumn("k", F.lit(1)), agreed, ["k"]).collect()] == [(1, "cafe\u0301", 1, "caf\u00e9")]
 
 
 def test_utterances():
