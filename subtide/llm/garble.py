@@ -7,12 +7,15 @@ bytes of that encoding and an automaton of the UTF-8 byte structure (a regular
 expression over the characters that stand for lead and continuation bytes)
 finds the maximal well-formed multibyte spans. Only those spans are decoded,
 so partly damaged texts keep their sound rest; rounds repeat while a span is
-found, which undoes texts decoded wrongly more than once. Double-byte
-encodings (GBK, Shift-JIS) go through their bytes with the same automaton.
+found, which undoes texts decoded wrongly more than once (each round shortens
+the text, so they end). Double-byte encodings (GBK, Shift-JIS) go through their
+bytes with the same automaton. Lines that hold few UTF-8 spans are read by the
+automata of Shift-JIS and GBK, for text of theirs taken for Western.
 
 Bytes of one single-byte encoding read as another: there is no multibyte
-structure; what tells is a word that no language writes - a long row of
-accented Latin letters, a digit-like sign within a word, or inverted case.
+structure, so the automaton can't tell; what tells is a word that no language
+writes - a long row of accented Latin letters, a digit-like sign within a
+word, or inverted case.
 
 Damage that lost characters (U+FFFD, C1 control characters) is found too, and
 left where it can't be undone.
@@ -28,8 +31,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_ROUNDS = 5
-
 #: Legacy encodings whose reading of UTF-8 is undone, likeliest first.
 SINGLE = ["cp1252", "cp1251", "mac_roman", "cp437", "cp850", "cp866", "koi8_r", "cp1250", "cp1253", "cp852"]
 DOUBLE = ["cp932", "gb18030"]
@@ -88,19 +89,23 @@ _ORDINARY = {
     "koi8_r": re.compile("[А-яЁёѕіјїєґЅІЈЇЄҐ\xa0\xad]{1,7}"),
     "cp866": re.compile("[А-яЁё\xa0]{1,9}"),
     "cp1253": re.compile("[Ά-ώ\xa0\xad]+"),
-    "mac_roman": re.compile("[À-ſ‘’“”–—…«»\xa0]{2}|[À-ſ]?[«»“”‘’–—…\xa0]+"),
+    "mac_roman": re.compile("[À-ſ‘’“”–—…«»\xa0]+"),
     "cp850": re.compile("[À-ÿ¿¡«»\xa0]{2}"),
     "cp437": re.compile("[À-ÿ¿¡«»\xa0]{2}|[Α-ω]{2}"),
     "cp852": re.compile("[À-ž«»\xa0]{2}"),
     "cp1250": re.compile("[À-ž\xa0\xad]{2,3}"),
 }
+#: What a single pair of Cyrillic letters within a Latin text may stand for.
+_WESTERN_SIGN = re.compile("[¡£§¿À-ÖØ-öø-ÿĄ-ćĘęŁ-ńŚśŹ-ž]+")
+_CYRILLIC = re.compile("[Ѐ-ӿ]")
+_FULLWIDTH = re.compile("[！-～]")
 _CJK = re.compile("[⺀-鿿豈-﫿︰-￯가-힣-�々〆]+")
 _KANA = re.compile("[ぁ-ヿ]")
 
 
 def _undo_single(text: str, codec: str) -> tuple[str, int]:
     """The text with spans of one encoding decoded, and the characters saved."""
-    table, ordinary, saved, proof = _TABLES[codec], _ORDINARY[codec], 0, False
+    table, ordinary, saved, proof, western = _TABLES[codec], _ORDINARY[codec], 0, False, codec == "cp1251"
     out, at = [], 0
     for m in _SPANS[codec].finditer(text):
         span = m.group()
@@ -108,10 +113,13 @@ def _undo_single(text: str, codec: str) -> tuple[str, int]:
         if not _PLAUSIBLE.fullmatch(good) and not (codec == "cp1252" and all("\x80" <= c <= "\x9f" or _PLAUSIBLE.match(c) for c in good)):
             continue
         proof = proof or not ordinary.fullmatch(span)
+        western = western and bool(_WESTERN_SIGN.fullmatch(good))
         saved += len(span) - len(good)
         out += (text[at : m.start()], good)
         at = m.end()
-    return ("".join(out) + text[at:], saved) if proof else (text, 0)
+    new = "".join(out) + text[at:]
+    # Letters of Cyrillic that are Western signs to the last, in a text with none besides.
+    return (new, saved) if proof or (western and saved and not _CYRILLIC.search(new)) else (text, 0)
 
 
 def _undo_double(text: str, codec: str) -> tuple[str, int]:
@@ -121,7 +129,7 @@ def _undo_double(text: str, codec: str) -> tuple[str, int]:
     def decode(m: re.Match[str]) -> str:
         nonlocal saved
         run = m.group()
-        if len(run) < 3:
+        if len(_FULLWIDTH.findall(run)) > 0.3 * len(run):
             return run
         out, n_good, raw = [], 0, run.encode(codec, "replace")
         at = 0
@@ -129,20 +137,26 @@ def _undo_double(text: str, codec: str) -> tuple[str, int]:
             good = s.group().decode("utf-8")
             if not _PLAUSIBLE.fullmatch(good):
                 continue
-            out.append("�" if s.start() > at else "")
+            out.append("\ufffd" * (s.start() > at) if not raw[at : s.start()].isascii() else raw[at : s.start()].decode())
             out.append(good)
             n_good += len(s.group())
             at = s.end()
-        if n_good < 6 or n_good < 0.6 * len(raw):
-            return run
         if at < len(raw):
-            out.append("�")
-        saved += n_good // 3
-        return "".join(out)
+            out.append(raw[at:].decode() if raw[at:].isascii() else "\ufffd")
+        new = "".join(out)
+        if len(run) < 3 or n_good < 6 or n_good < 0.6 * len(raw):
+            # A short run proves damage only within a Latin word, as a sign or letter of Latin text.
+            beside = text[max(0, m.start() - 1) : m.start()] + text[m.end() : m.end() + 1]
+            if not (n_good and beside.isascii() and any(c.isalpha() for c in beside) and _LATIN_SIGN.fullmatch(new)):
+                return run
+        saved += max(1, n_good // 3)
+        return new
 
     return _CJK.sub(decode, text), saved
 
 
+_LATIN_SIGN = re.compile("[A-Za-z]?[À-ÖØ-öø-ſ‘’“”–—…€£][A-Za-z]?")
+
 #: Relative frequency of the letters а..я in Russian text, in per mille.
 _RUSSIAN = dict(
     zip(
@@ -182,10 +196,13 @@ def _undo_swap(text: str) -> str | None:
     """A text whose single-byte encoding was taken for another, restored; else null."""
     if _LATIN_ROW.search(text):
         letters = [c for c in text if c.isalpha()]
-        if sum(bool(_HIGH.match(c)) for c in letters) >= 0.3 * len(letters):
+        if len(letters) >= 8 and sum(bool(_HIGH.match(c)) for c in letters) >= 0.6 * len(letters):
             russian, greek = _recode(text, "cp1252", "cp1251"), _recode(text, "cp1252", "cp1253")
             accents = sum(c in "άέήίόύώ" for c in greek)
-            return greek if accents and _russian(russian) < 45 else russian
+            if accents and _russian(russian) < 45:
+                return greek
+            if _russian(russian) >= 40:
+                return russian
     if _POLISH.search(text):
         return _recode(text, "cp1252", "cp1250")
     if _INVERTED.search(text):
@@ -196,22 +213,34 @@ def _undo_swap(text: str) -> str | None:
     return None
 
 
-#: A character that legacy double-byte text shows when read as Western.
+#: A character that double-byte text shows when read as Western.
 _WESTERN = re.compile("[\x80-\xffŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]")
 _EAST = re.compile("[ぁ-ヿ一-鿿、。「」！？，：；]")
+#: Whole lines of well-formed double-byte text, ASCII included.
+_EASTERN = {
+    "cp932": re.compile(rb"(?:[\x00-\x7f]|[\x81-\x9f\xe0-\xfc][\x40-\x7e\x80-\xfc]|[\xa1-\xdf])+"),
+    "gb2312": re.compile(rb"(?:[\x00-\x7f]|[\xa1-\xf7][\xa1-\xfe])+"),
+    "gbk": re.compile(rb"(?:[\x00-\x7f]|[\x81-\xfe][\x40-\x7e\x80-\xfe])+"),
+}
 
 
 def _undo_east(text: str) -> str | None:
-    """Lines of Shift-JIS or GBK bytes that were read as Western, restored; else null."""
+    """Lines of Shift-JIS or GBK bytes that were read as Western, restored; else null.
+
+    Lines most of whose Western signs stand in UTF-8 spans are no such lines.
+    """
     out, any_line = [], False
     for line in text.split("\n"):
         new = line
-        if len(_WESTERN.findall(line)) >= 4:
+        western = len(_WESTERN.findall(line))
+        if western >= 4 and sum(len(m.group()) for m in _SPANS["cp1252"].finditer(line)) < 0.5 * western:
             try:
                 raw = bytes([_TABLES["cp1252"].get(c, ord(c)) for c in line])
             except ValueError:
                 raw = b""
-            for codec in ("cp932", "gb2312", "gbk") if raw else ():
+            for codec, structure in _EASTERN.items():
+                if not structure.fullmatch(raw):
+                    continue
                 try:
                     good = raw.decode(codec)
                 except UnicodeDecodeError:
@@ -226,7 +255,7 @@ def _undo_east(text: str) -> str | None:
 
 #: Texts of one script and no sign of damage, told at a glance.
 _SOUND = re.compile("[\\x00-\\x7f♪“”’…–—]*[А-яЁё][А-яЁё\\x00-\\x7f♪]*|[\\x00-\\x7f♪áéíóúñãõçàêôâüöäßèîûœąćęłńóśźżÉÀÓÚÁÍ¿¡’…–—]*")
-_LOST = re.compile("�|[\x80-\x84\x86-\x9f]")
+_LOST = re.compile("\ufffd|[\x80-\x84\x86-\x9f]|锟斤|ï¿½")
 #: Rows that hold neither of these are sound.
 SUSPECT = r"[^\x00-\x7F]"
 
@@ -242,10 +271,10 @@ def restore(text: str | None) -> tuple[str | None, list[str]]:
         return text, []
     if _SOUND.fullmatch(text) and not _INVERTED.search(text) and not _POLISH.search(text):
         return text, []
+    found: list[str] = []
     if (new := _undo_east(text)) is not None:
         return new, ["east", "lost"] if _LOST.search(new) else ["east"]
-    found: list[str] = []
-    for _ in range(MAX_ROUNDS):
+    while True:
         best, gain, name = text, 0, ""
         for codec in SINGLE:
             if _PAIRS[codec].search(text):
@@ -257,13 +286,15 @@ def restore(text: str | None) -> tuple[str | None, list[str]]:
                 new, saved = _undo_double(text, codec)
                 if saved > gain:
                     best, gain, name = new, saved, codec
-        if not gain:
+        if not gain or (name in DOUBLE and "\ufffd" in best):
+            # Bytes were lost: what is left of such a run can't be read.
+            found += [name, "lost"] if gain else []
             break
         text = best
         found.append(name)
     if not found and (new := _undo_swap(text)) is not None:
         text, found = new, ["swap"]
-    if _LOST.search(text):
+    if "lost" not in found and _LOST.search(text):
         found.append("lost")
     return text, found
 
