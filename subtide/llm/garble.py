@@ -224,16 +224,23 @@ _EASTERN = {
 }
 
 
+def _common(text: str) -> bool:
+    """Whether most ideographs are of the first level of GB2312, the common ones."""
+    lead = [c.encode("gb2312", "replace")[0] for c in text if "\u4e00" <= c <= "\u9fff"]
+    return sum(0xB0 <= b <= 0xD7 for b in lead) >= 0.7 * len(lead)
+
+
 def _undo_east(text: str) -> str | None:
     """Lines of Shift-JIS or GBK bytes that were read as Western, restored; else null.
 
-    Lines most of whose Western signs stand in UTF-8 spans are no such lines.
+    Lines whose Western signs nearly all stand in UTF-8 spans are no such lines;
+    nor are those that come out in rare characters, outside the first level of GB2312.
     """
     out, any_line = [], False
     for line in text.split("\n"):
         new = line
         western = len(_WESTERN.findall(line))
-        if western >= 4 and sum(len(m.group()) for m in _SPANS["cp1252"].finditer(line)) < 0.5 * western:
+        if western >= 4 and sum(len(m.group()) for m in _SPANS["cp1252"].finditer(line)) < 0.9 * western:
             try:
                 raw = bytes([_TABLES["cp1252"].get(c, ord(c)) for c in line])
             except ValueError:
@@ -246,7 +253,7 @@ def _undo_east(text: str) -> str | None:
                 except UnicodeDecodeError:
                     continue
                 rest = [c for c in good if not c.isspace() and not c.isdigit()]
-                if len(rest) >= 3 and sum(bool(_EAST.match(c)) for c in rest) >= 0.8 * len(rest):
+                if len(rest) >= 3 and sum(bool(_EAST.match(c)) for c in rest) >= 0.8 * len(rest) and (codec == "cp932" or _common(good)):
                     new, any_line = good, True
                     break
         out.append(new)
