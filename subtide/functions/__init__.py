@@ -1 +1 @@
-
+"""Column functions: times, text rules, references and encodings."""
