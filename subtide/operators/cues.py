@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from subtide.functions.timecode import srt_stamp
+from subtide.operators.stages import cut
 
 COLUMNS = ["file_id", "seq", "idx", "start_ms", "end_ms", "content"]
 #: Width of a slice of time, and size of a block of places.
@@ -36,13 +37,19 @@ def as_cues(df: DataFrame) -> DataFrame:
     )
 
 
-def relist(df: DataFrame, order: list[str], seq: str = "seq") -> DataFrame:
-    """df with seq made dense from 1 within each file, in an order that begins with start_ms or seq."""
+def relist(df: DataFrame, order: list[str], seq: str = "seq", once: bool = False) -> DataFrame:
+    """df with seq made dense from 1 within each file, in an order that begins with start_ms or seq.
+
+    df is used twice, the second time for the counts of the slices; once
+    writes it between (see ``cut``), for a df that costs more than a scan.
+    """
     head = order[0]
     width = SLICE_MS if head == "start_ms" else BLOCK
     sliced = df.withColumn("_slice", F.floor(F.col(head) / F.lit(width)))
     inside = Window.partitionBy("file_id", "_slice").orderBy(*order)
     numbered = sliced.withColumn("_n", F.row_number().over(inside)).withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy("file_id", "_slice")))
+    if once:
+        numbered = cut(numbered)
     # One row per slice: the cues of the file's earlier slices.
     before = Window.partitionBy("file_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -51,9 +58,9 @@ def relist(df: DataFrame, order: list[str], seq: str = "seq") -> DataFrame:
     return numbered.join(starts, ["file_id", "_slice"]).withColumn(seq, F.col("_before") + F.col("_n")).drop("_slice", "_n", "_all", "_before")
 
 
-def sort_cues(cues: DataFrame) -> DataFrame:
+def sort_cues(cues: DataFrame, once: bool = False) -> DataFrame:
     """Cues in order of (start, end, idx, place); seq and idx count from 1."""
-    listed = relist(cues, ["start_ms", "end_ms", "idx", "seq"], "_place")
+    listed = relist(cues, ["start_ms", "end_ms", "idx", "seq"], "_place", once)
     return listed.withColumn("idx", F.col("_place").cast("int")).withColumn("seq", F.col("_place")).drop("_place")
 
 

@@ -71,7 +71,6 @@ def correct_texts(cues: DataFrame) -> DataFrame:
 
 def remove_global_tags(cues: DataFrame) -> DataFrame:
     """Without italics, or the top position, where every cue of a long enough file has it."""
-    cues = cut(cues)
     content = F.col("content")
     italic = content.startswith("<i>") & content.endswith("</i>")
     inner = F.substr(content, F.lit(4), F.greatest(F.length(content) - 7, F.lit(0)))
@@ -109,7 +108,7 @@ def combine_timecodes(cues: DataFrame, remove_gaps: bool = True) -> DataFrame:
     are removed). Directly behind the last one: that one ends 1 ms earlier.
     Otherwise a cue is kept unless blank; the first of a file is always kept.
     """
-    rows, along, own = with_neighbours(cut(cues.select(*COLUMNS)), 2, 1, COLUMNS)
+    rows, along, own = with_neighbours(cues.select(*COLUMNS), 2, 1, COLUMNS)
     blank = is_blank(F.col("content"))
     gap = F.col("start_ms") - F.col("_pe")
     extends = F.lit(remove_gaps) & (gap > 0) & (gap <= SHORT_GAP_MS) & F.col("content").startswith(F.col("_pc"))
@@ -141,7 +140,7 @@ def combine_timecodes(cues: DataFrame, remove_gaps: bool = True) -> DataFrame:
     item = F.struct("seq", "idx", "start_ms", "end_ms", "content", "_forced", F.coalesce("_cut.abuts", F.lit(False)).alias("abuts"))
     islands = homed.groupBy("file_id", "_island").agg(F.array_sort(F.collect_list(item)).alias("_rows"))
     folded = islands.select("file_id", F.explode(_fold(F.col("_rows"), remove_gaps)).alias("_c"))
-    return sort_cues(cut(folded.select("file_id", "_c.seq", "_c.idx", "_c.start_ms", "_c.end_ms", "_c.content")))
+    return sort_cues(folded.select("file_id", "_c.seq", "_c.idx", "_c.start_ms", "_c.end_ms", "_c.content"), once=True)
 
 
 def _fold(rows: Column, remove_gaps: bool) -> Column:
@@ -185,8 +184,7 @@ def remove_short_gaps(cues: DataFrame) -> DataFrame:
     A blank cue stays where it stands behind such a gap, and the first of a
     file always. seq must be dense, as sort_cues leaves it.
     """
-    cues = cut(cues.select(*COLUMNS))
-    rows, along, own = with_neighbours(cues, 2, 2, COLUMNS)
+    rows, along, own = with_neighbours(cues.select(*COLUMNS), 2, 2, COLUMNS)
     blank = is_blank(F.col("content"))
     gap = F.col("start_ms") - F.lag("end_ms").over(along)
     seen = rows.select("*", blank.alias("_b"), F.coalesce((gap > 1) & (gap <= SHORT_GAP_MS), F.lit(False)).alias("_short"), F.lag("seq").over(along).isNull().alias("_first"))
@@ -195,11 +193,12 @@ def remove_short_gaps(cues: DataFrame) -> DataFrame:
     seen = seen.withColumn("_open", F.coalesce(F.col("_b") & F.lag(F.col("_b") & ~F.col("_first")).over(along), F.lit(False)))
     ahead = along.rowsBetween(1, 2)
     seen = seen.withColumn("_next", F.first(F.when(~F.col("_gone"), F.col("start_ms")), ignorenulls=True).over(ahead)).where(own)
+    seen = cut(seen.select(*COLUMNS, "_gone", "_open", "_next"))
     open_files = seen.where("_open").select("file_id").distinct()
     next_gap = F.col("_next") - F.col("end_ms")
     end = F.when((next_gap > 1) & (next_gap <= SHORT_GAP_MS), F.col("_next") - 1).otherwise(F.col("end_ms"))
     settled = seen.where(~F.col("_gone")).join(open_files, "file_id", "left_anti").withColumn("end_ms", end).select(*COLUMNS)
-    return sort_cues(cut(settled.unionByName(_close_with_blanks(cues.join(open_files, "file_id", "left_semi")))))
+    return sort_cues(settled.unionByName(_close_with_blanks(cues.join(open_files, "file_id", "left_semi"))), once=True)
 
 
 def _close_with_blanks(cues: DataFrame) -> DataFrame:
@@ -264,7 +263,7 @@ def mend(cues: DataFrame, language: str | Column | None = None, remove_gaps: boo
     """
     coded = cues.withColumn("_lang", language_code(language if isinstance(language, Column) else F.lit(language).cast("string")))
     langs = coded.groupBy("file_id").agg(F.min("_lang").alias("_lang")) if isinstance(language, Column) else None
-    done = remove_global_tags(correct_texts(fix_time_codes(cues.select(*COLUMNS))))
+    done = remove_global_tags(cut(correct_texts(fix_time_codes(cues.select(*COLUMNS)))))
     done = combine_timecodes(done, remove_gaps)
     if remove_gaps:
         done = remove_short_gaps(done)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from subtide.functions.sdhtext import with_stripped_text
 from subtide.operators.cues import COLUMNS, sort_cues
-from subtide.operators.stages import cut
 
 
 def check_patterns(spark: SparkSession, patterns: Iterable[str]) -> list[str]:
@@ -33,4 +32,4 @@ def strip_sdh(cues: DataFrame, extra: Iterable[str] = ()) -> DataFrame:
     bare = with_stripped_text(cues.select(*COLUMNS), "content", extra)
     # explode drops the texts that are null, without a filter that would compute them again.
     left = F.explode(F.array_compact(F.array("content"))).alias("content")
-    return sort_cues(cut(bare.select(*COLUMNS[:-1], left)))
+    return sort_cues(bare.select(*COLUMNS[:-1], left), once=True)

@@ -2,14 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; where it names none, one of this session's own.
+
+    The session's own folder is on this machine, so it is for local masters only.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if not master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
+    own = tempfile.mkdtemp(prefix="subtide-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df kept in memory or on disk once it is computed, so that what uses it twice neither plans nor computes it twice.
+    """df as a table written in the shared folder, computed now.
 
-    Lineage is kept: parts on a lost executor are computed again. Callers that
-    run for long may unpersist what they no longer need.
+    What comes after plans from the table alone, so a stage that is used
+    twice is neither planned nor computed twice, reads only the columns it
+    needs, and survives the loss of any executor.
     """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/subtide-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,3 +1,3 @@
 """Query catalogues: each module has QUERIES and ORACLES."""
 
-MODULES = ["intervals"]
+MODULES = ["intervals", "model", "mending", "stripping", "formats"]
