@@ -17,6 +17,7 @@ move, and no task ever sees a whole entity's intervals.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,7 +58,8 @@ def _starts(rows: DataFrame, keys: list[str], slice_ms: int) -> DataFrame:
     _before is where the period before it ended (null for the first of the
     entity), _last the end of the entity's last period.
     """
-    sessions = _sessions(rows, keys, slice_ms)
+    # Kept, so that the slices and the sessions come from one reading of the rows.
+    sessions = _sessions(rows, keys, slice_ms).persist(StorageLevel.MEMORY_AND_DISK)
     over_slices = Window.partitionBy(*keys).orderBy("_slice")
     slices = (
         sessions.groupBy(*keys, "_slice")
@@ -82,7 +84,7 @@ def _starts(rows: DataFrame, keys: list[str], slice_ms: int) -> DataFrame:
 
 def _periods(df: DataFrame, keys: list[str], start: str, end: str, slice_ms: int) -> DataFrame:
     """(keys, _s, _e, _next): each period and the start of the entity's next one."""
-    starts = _starts(valid_intervals(df, keys, start, end), keys, slice_ms)
+    starts = _starts(valid_intervals(df, keys, start, end), keys, slice_ms).persist(StorageLevel.MEMORY_AND_DISK)
     over_slices = Window.partitionBy(*keys).orderBy("_slice")
     inside = Window.partitionBy(*keys, "_slice").orderBy("_s")
     heads = (
