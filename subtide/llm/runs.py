@@ -75,10 +75,11 @@ def collapse_runs(
         .where(F.col("_before").isNull() | (F.col("_before") != F.col("_p")))
         .select("_k", "_b", "_p", "_c", "_s", "_e", value.alias("_v"))
     )
+    # An event without a value is alike to nothing: its value is its own place.
+    events = events.where(F.col("_v").isNotNull()) if min_events > 1 else events.withColumn("_v", F.coalesce("_v", F.concat(F.lit("!"), F.col("_p").cast("string"))))
     same = F.col("_p") - F.row_number().over(Window.partitionBy("_k", "_b", "_v").orderBy("_p"))
     exact = (
-        events.where(F.col("_v").isNotNull())
-        .withColumn("_d", same)
+        events.withColumn("_d", same)
         .groupBy("_k", "_b", "_v", "_d")
         .agg(
             F.min("_p").alias("_first"),
@@ -138,11 +139,6 @@ def collapse_runs(
         )
         .drop("_at", "_run")
     )
-    if min_events == 1:
-        lone = events.where(F.col("_v").isNull() & (F.col("_p") != low)).select(
-            "_k", F.col("_p").alias("_first"), F.col("_p").alias("_last"), "_s", "_e", F.struct("_p", "_c").alias("_c")
-        )
-        whole = whole.unionByName(lone)
     return (
         whole.where(F.col("_last") - F.col("_first") + 1 >= min_events)
         .select(
