@@ -29,17 +29,33 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 LONG_WORD = 512
 KEPT_WORDS = 400_000
 KEPT_SEGMENTS = 150_000
+#: Characters of new words contracted by one query.
+WORDS_BYTES = 2_000_000
 #: Characters of text encoded in one go.
 GULP = 4_000_000
 
 #: Characters that the vocabulary's pattern counts as white space.
 _WS = "\\t-\\r \x85\xa0  -     　"
-_SEGMENT = re.compile(f"[{_WS}]*[^\\n]*[^{_WS}]|[{_WS}]+")
+_WHITE = re.compile(f"[{_WS}]+")
+# Code points that the regex library knows as letters or numbers
+# and the vocabulary's pattern (Unicode 16) doesn't.
+_LATER = (
+    "\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d"
+    "\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb"
+    "\U00011de0-\U00011de9\U00011df1\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8"
+    "\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20"
+    "\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6"
+    "\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de"
+    "\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff"
+    "\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
+_LETTER, _NUMBER = rf"[\p{{L}}--[{_LATER}]]", rf"[\p{{N}}--[{_LATER}]]"
 #: The vocabulary's word pattern for texts of ASCII only.
 _ASCII_WORD = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII
 )
-_WORD = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
+_OTHER = rf"[^{_WS}\p{{L}}\p{{N}}{_LATER}]"
+_WORD = rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{_LETTER}+| ?{_NUMBER}+| ?(?:{_OTHER}|[{_LATER}])+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 
 _CONTRACT = """
 WITH RECURSIVE state(w, toks, done) AS (
@@ -90,7 +106,8 @@ class Encoder:
         if not np.array_equal(new, np.arange(256, 256 + len(merges))):
             raise ValueError("the vocabulary must number its merges from 256 in order of rank")
         self.ranks = dict(zip((a * 65536 + b).tolist(), range(len(merges)), strict=True))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        # Nothing is spilled to the worker's own disk: the words of one call are bounded by WORDS_BYTES.
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.db.register("source", pa.table({"pair": a * 65536 + b, "rank": np.arange(len(merges))}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM source")
         self.db.unregister("source")
@@ -129,6 +146,9 @@ class Encoder:
 
     def contract(self, words: list[str]) -> list[bytes]:
         """The ids of each word as bytes of int32, by the recursive query."""
+        if len(words) > 1 and sum(map(len, words)) > WORDS_BYTES:
+            half = len(words) // 2
+            return self.contract(words[:half]) + self.contract(words[half:])
         if not words:
             return []
         data = [w.encode("utf-8", "replace") for w in words]
@@ -158,7 +178,7 @@ class Encoder:
             self.words.clear()
         if len(self.segments) > KEPT_SEGMENTS:
             self.segments.clear()
-        cut = [_SEGMENT.findall(t) if t else [] for t in texts]
+        cut = [_segments(t) if t else [] for t in texts]
         kept, fixed, words = self.segments, self.fixed, self.words
         split = {s: self._split(s) for s in dict.fromkeys(s for segments in cut for s in segments) if s not in kept}
         fresh = list({w for ws in split.values() for w in ws if w not in fixed and w not in words})
@@ -175,6 +195,12 @@ class Encoder:
         return b"".join([self.bytes_of[int(i)] for i in ids])
 
 
+def _segments(text: str) -> list[str]:
+    """The text cut before each white space that holds a line break; every character is looked at once."""
+    at = [m.start() for m in _WHITE.finditer(text) if m.start() and "\n" in m.group()]
+    return [text[a:b] for a, b in zip([0, *at], [*at, len(text)], strict=True)]
+
+
 def _decodes(b: bytes) -> bool:
     try:
         b.decode()

@@ -3,7 +3,9 @@
 Lexical-cohesion segmentation: at each line boundary the blocks of tokens
 before and after it are compared (cosine of their bags of tokens); a topic
 boundary is a valley of that similarity. Each piece ends at the deepest valley
-within its window of sizes; where the window holds no line boundary it ends
+within its window of sizes. Where the window holds no line boundary, the ends
+of sentences and statements are searched in the same way; where it holds none
+of those either, the piece ends at the last line before the window, or else
 behind punctuation or a word, and within a single word only at the limit.
 Every piece after the first repeats the last ``overlap`` tokens of the one
 before it.
@@ -39,11 +41,15 @@ class Splitter:
         self.counted = np.zeros(size, bool)  # has letters or digits, part of cohesion
         self.opens = np.zeros(size, bool)  # may start a piece by its own first byte
         self.inside = np.zeros(size, bool)  # starts in the middle of a character
+        self.ends = np.zeros(size, bool)  # ends a sentence, before white space, or a statement
+        self.statement = np.zeros(size, bool)  # ends a statement, whatever follows
         self.closes = np.zeros(size, bool)  # punctuation after which a cut is natural
         for i, b in enc.bytes_of.items():
             self.n_bytes[i] = len(b)
             self.inside[i] = 0x80 <= b[0] < 0xC0
             self.opens[i] = b[:1].isspace()
+            self.statement[i] = b[-1:] in (b";", b"}", b"\n")
+            self.ends[i] = self.statement[i] or b[-1:] in (b".", b"!", b"?") or b.endswith(("。".encode(), "！".encode(), "？".encode()))
             self.closes[i] = b[-1:] in (b";", b"}", b".", b",", b">", b")", b"!", b"?", b"\n")
             self.counted[i] = any(c >= 0x80 or chr(c).isalnum() for c in b)
 
@@ -53,7 +59,7 @@ class Splitter:
         tokens = ids[low:high]
         counted = self.counted[tokens]
         own, number = np.unique(tokens, return_inverse=True)
-        near = gaps[(gaps > low) & (gaps < high)] - low
+        near = gaps[np.searchsorted(gaps, low, "right") : np.searchsorted(gaps, high, "left")] - low
 
         def bags(at: np.ndarray) -> np.ndarray:
             """The bag of the tokens at each row's positions, exact: a column for each distinct token."""
@@ -83,19 +89,25 @@ class Splitter:
         while n - start > self.max:
             limit = start + self.max
             first = start + max(self.overlap + 1, int(self.max * LEAST_SHARE))
-            there = gaps[(gaps >= first) & (gaps <= limit)]
-            if not len(there):
-                early = gaps[(gaps > start + self.overlap) & (gaps < first)]
-                there = early[-1:]
-            if len(there):
-                end = self._valley(ids, gaps, int(there[0]), int(there[-1])) if len(there) > 1 else int(there[0])
+            i, j = np.searchsorted(gaps, (first, limit + 1))
+            if i == j:
+                # No line ends in the window: the ends of sentences and statements in it are the candidates.
+                near = self._ends(ids, first, limit)
+                early = gaps[i - 1] if i and gaps[i - 1] > start + self.overlap else 0
+                end = self._valley(ids, near, int(near[0]), int(near[-1])) if len(near) else int(early) or self._word(ids, first, limit)
             else:
-                end = self._word(ids, first, limit)
+                end = self._valley(ids, gaps, int(gaps[i]), int(gaps[j - 1])) if j - i > 1 else int(gaps[i])
             out.append((start, end))
             start = end - self.overlap
         out.append((start, n))
         return out
 
+    def _ends(self, ids: np.ndarray, first: int, limit: int) -> np.ndarray:
+        """The places in first..limit behind the end of a sentence or statement."""
+        at = np.arange(first, limit + 1)
+        before, behind = ids[at - 1], ids[np.minimum(at, len(ids) - 1)]
+        return at[self.ends[before] & ~self.inside[behind] & (self.opens[behind] | self.statement[before])]
+
     def _word(self, ids: np.ndarray, first: int, limit: int) -> int:
         """The latest place in first..limit behind punctuation, else before a word, else between characters."""
         at = np.arange(first, limit + 1)
@@ -115,6 +127,21 @@ class Splitter:
                 yield ids, self.cuts(ids, gaps)
 
 
+def _whole_characters(data: bytes) -> str:
+    """The text of bytes, without the parts of characters at its ends."""
+    begin = next((i for i, b in enumerate(data[:4]) if not 0x80 <= b < 0xC0), 0)
+    data = data[begin:]
+    for cut in range(1, min(4, len(data)) + 1):
+        lead = data[-cut]
+        if lead >= 0xC0:
+            whole = 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+            data = data[:-cut] if cut < whole else data
+            break
+        if lead < 0x80:
+            break
+    return data.decode("utf-8", "replace")
+
+
 _PIECE = T.ArrayType(
     T.StructType(
         [
@@ -189,9 +216,9 @@ def split_documents(
 ) -> DataFrame:
     """(key, piece_no, tok_start, tok_end, ids, piece): the pieces with their ids and text.
 
-    piece_no counts from 1. The ids of a piece are exact; where the overlap
-    begins inside a character, the piece's text has U+FFFD for its rest.
-    Empty cases as in plan_pieces.
+    piece_no counts from 1. The ids of a piece are exact; where it begins or
+    ends inside a character, its text leaves that character to the piece that
+    holds it whole. Empty cases as in plan_pieces.
     """
     schema = T.StructType(
         [
@@ -210,7 +237,7 @@ def split_documents(
                 rows: list[tuple] = []
                 for i, (ids, cuts) in enumerate(splitter.plan(texts[begin:end])):
                     for k, (a, b) in enumerate(cuts, 1):
-                        rows.append((begin + i, k, a, b, ids[a:b], splitter.enc.decode(ids[a:b]).decode("utf-8", "replace")))
+                        rows.append((begin + i, k, a, b, ids[a:b], _whole_characters(splitter.enc.decode(ids[a:b]))))
                 cols = list(zip(*rows, strict=True)) or [()] * 6
                 yield pa.RecordBatch.from_arrays(
                     [

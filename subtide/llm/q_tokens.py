@@ -24,7 +24,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_documents(_documents(spark, sf_dir)).drop("ids")
+    return split_documents(_documents(spark, sf_dir))
 
 
 QUERIES = {"p7_ids": p7_ids, "p9_found": p9_found, "p9_pieces": p9_pieces}
