@@ -36,7 +36,7 @@ GULP = 4_000_000
 
 #: Characters that the vocabulary's pattern counts as white space.
 _WS = "\\t-\\r \x85\xa0  -     　"
-_WHITE = re.compile(f"[{_WS}]+")
+_BLANKS = "".join(re.findall(f"[{_WS}]", "".join(map(chr, range(0x3001)))))
 # Code points that the regex library knows as letters or numbers
 # and the vocabulary's pattern (Unicode 16) doesn't.
 _LATER = (
@@ -197,8 +197,13 @@ class Encoder:
 
 def _segments(text: str) -> list[str]:
     """The text cut before each white space that holds a line break; every character is looked at once."""
-    at = [m.start() for m in _WHITE.finditer(text) if m.start() and "\n" in m.group()]
-    return [text[a:b] for a, b in zip([0, *at], [*at, len(text)], strict=True)]
+    at, begin = [0], 0
+    for line in text.split("\n")[:-1]:
+        shown = len(line.rstrip(_BLANKS))
+        if shown:
+            at.append(begin + shown)
+        begin += len(line) + 1
+    return [text[a:b] for a, b in zip(at, [*at[1:], len(text)], strict=True)]
 
 
 def _decodes(b: bytes) -> bool:
