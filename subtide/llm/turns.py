@@ -1,10 +1,15 @@
 """Speaker turns of talk files.
 
-Line templates: an utterance is ``[time] [marks] [label] words``, where the
-label stands before a colon or a dash, or in brackets. Places where a template
-may begin are the starts of lines and of sentences; a label counts only if it
-names a person of the file's cast, exactly or, failing that, with one letter
-wrong, missing or doubled.
+Line templates are mined from all lines of the talk files (see ``linetrees``).
+A template's first word slot is a speaker slot if at least SPEAKER_SHARE of its
+values name a person of their file's cast, exactly or, failing that, with one
+letter wrong, missing or doubled. Lines of such templates whose slot names a
+person open an utterance of theirs; whatever else stands between is words of
+the speaker before. Places where a line may begin are the starts of lines and
+of sentences.
+
+A file may own any share of the rows: who speaks is carried through blocks of
+places, and the blocks are joined by a table with a row for each.
 """
 
 from __future__ import annotations
@@ -14,21 +19,21 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_TIME = r"\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?"
-_MARK = rf"(?:\s|</?[A-Za-z][^<>]*>|\{{\\an\d\}}|>>+|[-–—♪*#]|[\[(]\s*{_TIME}\s*[\])]|{_TIME}(?![\d:]))"
+from subtide.llm.linetrees import TIME, Tree, label, shape, tokens
+from subtide.operators.stages import cut
+
+#: Share of a slot's values that must name a person.
+SPEAKER_SHARE = 0.05
+#: Places of a block.
+BLOCK = 2048
 _NOTE = r"(?:\[[^\[\]]*\]|\([^()]*\))"
-_NAME = r"[^\W\d_](?:[^\W\d_]|[.,'’\-]|\s(?!\s))*"
-#: A label as a template has it: before a colon or dash, maybe with a note, or in brackets.
-_LABEL = re.compile(
-    rf"{_MARK}*(?:(?P<named>{_NAME})\s*{_NOTE}?\s*(?:</?[A-Za-z][^<>]*>)*\s*(?:[:：]|\s[—–]\s|[—–])|\[\s*(?P<square>{_NAME})\s*\]|\(\s*(?P<round>{_NAME})\s*\))(?:\s*[:：])?\s*(?:</[A-Za-z]>)?"
-)
 _PLACE = re.compile(r"\A|\n|(?<=[.!?…。！？])[\"'”’]?\s+|(?<=[\])♪>])\s*")
 _TITLES = {"dr", "prof", "mr", "mrs", "ms", "miss", "sir", "madam", "professor", "doctor"}
-_ASIDE = re.compile(rf"{_NOTE}|</?[A-Za-z][^<>]*>|\{{\\an\d\}}|(?<![\d:]){_TIME}(?![\d:])")
+_ASIDE = re.compile(rf"{_NOTE}|</?[A-Za-z][^<>]*>|\{{\\an\d\}}|(?<![\d:]){TIME}(?![\d:])")
 _HESITATION = re.compile(r"\b(?:u+h+[\s-]+h+u+h+|mm+[\s-]+h+m+|u+h*m+|u+h+|e+r+m*|h+m+|m{2,}|a+h+|e+h+|h+u+h+)\b", re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]")
 
@@ -100,30 +105,105 @@ def clean(text: str) -> str:
     return " ".join(re.sub(r"(?m)^\s*(?:[-–—]|>>+)\s*|♪", " ", text).split())
 
 
-def utterances(content: str | None, cast: tuple[tuple[int, str, str], ...]) -> list[tuple[int | None, str]]:
-    """(speaker or null, words) in order; those without words are left out."""
+def heads(content: str, cast: tuple[tuple[int, str, str], ...]) -> list[tuple[int, int, str, int | None]]:
+    """(place, end of the label, shape, speaker or null) of the lines that begin in a text with a label's form."""
+    out = []
+    for place in _PLACE.finditer(content):
+        row = tokens(content, place.end())
+        found = label(row)
+        if found is None:
+            continue
+        slot, upto = found
+        speaker = speaker_of(content[row[slot].start : row[slot].end].strip(), cast)
+        out.append((place.end(), row[upto - 1].end, shape(row), speaker))
+    return out
+
+
+def utterances(content: str | None, labels: list[tuple[int, int, int]]) -> list[tuple[int | None, str]]:
+    """(speaker or null, words) in order, by the labels (place, end, speaker); those without words are left out."""
     if not content:
         return []
     parts: list[tuple[int | None, int, int]] = [(None, 0, len(content))]
-    done = 0
-    for place in _PLACE.finditer(content):
-        at = place.end()
-        if at < done:
-            continue
-        m = _LABEL.match(content, at)
-        if not m:
+    for at, end, speaker in sorted(labels):
+        if len(parts) > 1 and at < parts[-1][1]:
             continue
-        label = m.group("named") or m.group("square") or m.group("round")
-        speaker = speaker_of(label, cast)
-        if speaker is None:
-            continue
-        before, start, _ = parts[-1]
-        parts[-1] = (before, start, at)
-        parts.append((speaker, m.end(), len(content)))
-        done = m.end()
+        parts[-1] = (*parts[-1][:2], at)
+        parts.append((speaker, end, len(content)))
     return [(speaker, clean(content[a:b])) for speaker, a, b in parts if has_words(content[a:b])]
 
 
+def _heads(cues: DataFrame, cast: DataFrame, file: str, seq: str, content: str, speaker: str, name: str, role: str) -> DataFrame:
+    """(file, seq, _text, _heads) of the cues of talk files, once each."""
+    people = (
+        cast.where(F.col(speaker).isNotNull())
+        .groupBy(file)
+        .agg(F.array_sort(F.collect_set(F.struct(F.col(speaker).cast("long").alias("i"), F.col(name).alias("n"), F.col(role).alias("r")))).alias("_cast"))
+    )
+    once = (
+        cues.where(F.col(content).isNotNull())
+        .select(file, F.col(seq).cast("long").alias(seq), F.col(content).cast("string").alias("_text"))
+        .join(people.select(file), file, "left_semi")
+        .groupBy(file, seq)
+        .agg(F.min("_text").alias("_text"))
+    )
+    head = T.StructType([T.StructField("at", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("shape", T.StringType()), T.StructField("by", T.LongType())])
+    schema = T.StructType([cues.schema[file], T.StructField(seq, T.LongType()), T.StructField("_text", T.StringType()), T.StructField("_heads", T.ArrayType(head))])
+    arrow = pa.list_(pa.struct([("at", pa.int32()), ("end", pa.int32()), ("shape", pa.string()), ("by", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text, members in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                rows = heads(text, tuple((p["i"], p["n"], p["r"]) for p in members))
+                found.append([dict(zip(("at", "end", "shape", "by"), r, strict=True)) for r in rows])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, arrow)], names=schema.names)
+
+    return once.join(people, file).select(file, seq, "_text", "_cast").mapInArrow(run, schema)
+
+
+def mine_templates(found: DataFrame) -> DataFrame:
+    """(shape, template, n_lines, n_named, speaks): the template of each shape, and whether its slot is a speaker's."""
+    shapes = found.select(F.explode("_heads").alias("_h")).groupBy(F.col("_h.shape").alias("shape")).agg(F.count(F.lit(1)).alias("n"), F.count("_h.by").alias("named"))
+    schema = T.StructType(
+        [T.StructField("shape", T.StringType()), T.StructField("template", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_named", T.LongType()), T.StructField("speaks", T.BooleanType())]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, keys, seen = Tree(), {}, {}
+        for batch in batches:
+            for form, n, named in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                keys[form] = key = tree.add(form)
+                before = seen.get(key, (0, 0))
+                seen[key] = (before[0] + n, before[1] + named)
+        rows = [(form, tree.template(key), *seen[key], seen[key][1] >= SPEAKER_SHARE * seen[key][0]) for form, key in keys.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=schema.names)
+
+    # Shapes are rows of eight tokens of some twenty kinds, counted before they meet; their first tokens lead to one leaf, so they may go to tasks by them.
+    first = F.substring_index("shape", " ", 2)
+    return shapes.withColumn("_first", first).repartition("_first").sortWithinPartitions(F.desc("n"), "shape").select("shape", "n", "named").mapInArrow(run, schema)
+
+
+def _turns(said: DataFrame, file: str, seq: str, block: int) -> DataFrame:
+    """said with _who, the speaker of each utterance, and _turn, the number of its turn in the file."""
+    inside = Window.partitionBy(file, "_block").orderBy(seq, "_place")
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    blocks = Window.partitionBy(file).orderBy("_block")
+    earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
+    said = said.withColumn("_block", F.floor(F.col(seq) / F.lit(block)))
+    # Who spoke last before each block.
+    last = said.where("_by is not null").groupBy(file, "_block").agg(F.max_by("_by", F.struct(seq, "_place")).alias("_end"))
+    spread = said.select(file, "_block").distinct().join(last, [file, "_block"], "left")
+    carried = spread.select(file, "_block", F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
+    who = F.coalesce(F.last("_by", ignorenulls=True).over(so_far), F.col("_carry"))
+    known = said.join(carried, [file, "_block"]).withColumn("_who", who).where(F.col("_who").isNotNull())
+    # Changes of speaker, within a block and since the block before; _carry is whom the first utterance follows.
+    change = F.lag("_who").over(inside)
+    marked = known.withColumn("_new", F.coalesce((F.coalesce(change, F.col("_carry")) != F.col("_who")).cast("int"), F.lit(1))).withColumn("_n", F.sum("_new").over(so_far))
+    before = marked.groupBy(file, "_block").agg(F.sum("_new").alias("_all")).select(file, "_block", F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_before"))
+    return marked.join(before, [file, "_block"]).withColumn("_turn", F.col("_n") + F.col("_before"))
+
+
 def find_turns(
     cues: DataFrame,
     cast: DataFrame,
@@ -133,54 +213,52 @@ def find_turns(
     speaker: str = "speaker_id",
     name: str = "full_name",
     role: str = "role_label",
+    block: int = BLOCK,
 ) -> DataFrame:
     """(file, speaker, first_seq, last_seq, n_utterances, words) of each turn.
 
-    Files without cast have no turns. Repeated rows count once; null contents
-    and utterances without words are as if they were not there, and so are
-    those before the first label of a file.
+    Files without cast have no turns. A cue delivered again counts once (the
+    least content if deliveries differ); null contents and utterances without
+    words are as if they were not there, and so are those before the first
+    label of a file. Null files, places and speakers are left out; other
+    columns are not read.
     """
-    people = (
-        cast.where(F.col(speaker).isNotNull())
-        .groupBy(file)
-        .agg(F.array_sort(F.collect_set(F.struct(F.col(speaker).cast("long").alias("i"), F.col(name).alias("n"), F.col(role).alias("r")))).alias("_cast"))
-    )
-    rows = cues.where(F.col(content).isNotNull()).select(file, seq, F.col(content).cast("string").alias("_text")).join(people, file).distinct()
+    found = cut(_heads(cues.dropna(subset=[file, seq]), cast.dropna(subset=[file]), file, seq, content, speaker, name, role))
+    speaking = mine_templates(found).where("speaks").select("shape")
+    named = found.select(file, seq, F.explode("_heads").alias("_h")).where("_h.by is not null").select(file, seq, "_h.*")
+    labels = named.join(speaking, "shape").groupBy(file, seq).agg(F.array_sort(F.collect_set(F.struct("at", "end", "by"))).alias("_labels"))
     schema = T.StructType(
-        [cues.schema[file], cues.schema[seq], T.StructField("_place", T.IntegerType()), T.StructField("_by", T.LongType()), T.StructField("_words", T.StringType())]
+        [cues.schema[file], T.StructField(seq, T.LongType()), T.StructField("_place", T.IntegerType()), T.StructField("_by", T.LongType()), T.StructField("_words", T.StringType())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, place, by, words = [], [], [], []
-            for i, (text, members) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                for k, (who, said) in enumerate(utterances(text, tuple((p["i"], p["n"], p["r"]) for p in members))):
+            at, rows = [], []
+            for i, (text, own) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                for k, (who, said) in enumerate(utterances(text, [(x["at"], x["end"], x["by"]) for x in own or []])):
                     at.append(i)
-                    place.append(k)
-                    by.append(who)
-                    words.append(said)
+                    rows.append((k, who, said))
+            places, by, words = zip(*rows, strict=True) if rows else ((), (), ())
             kept = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [kept.column(0), kept.column(1), pa.array(place, pa.int32()), pa.array(by, pa.int64()), pa.array(words, pa.string())],
-                names=[file, seq, "_place", "_by", "_words"],
-            )
-
-    ordered = Window.partitionBy(file).orderBy(seq, "_place")
-    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    said = (
-        rows.mapInArrow(run, schema)
-        .withColumn("_who", F.last("_by", ignorenulls=True).over(so_far))
-        .where(F.col("_who").isNotNull())
-        .withColumn("_new", F.coalesce((F.lag("_who").over(ordered) != F.col("_who")).cast("int"), F.lit(1)))
-        .withColumn("_turn", F.sum("_new").over(so_far))
-    )
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(places, pa.int32()), pa.array(by, pa.int64()), pa.array(words, pa.string())], names=schema.names)
+
+    said = cut(found.join(labels, [file, seq], "left").select(file, seq, "_text", "_labels").mapInArrow(run, schema))
+    words: Column = F.array_sort(F.collect_list(F.struct(seq, "_place", "_words")))
     return (
-        said.groupBy(file, "_turn", F.col("_who").alias(speaker))
-        .agg(
-            F.min(seq).alias("first_seq"),
-            F.max(seq).alias("last_seq"),
-            F.count(F.lit(1)).alias("n_utterances"),
-            F.array_sort(F.collect_list(F.struct(seq, "_place", "_words"))).alias("_said"),
+        _turns(said, file, seq, block)
+        .groupBy(file, "_turn", F.col("_who").alias(speaker))
+        .agg(F.min(seq).alias("first_seq"), F.max(seq).alias("last_seq"), F.count(F.lit(1)).alias("n_utterances"), words.alias("_said"))
+        .select(
+            file,
+            F.col(speaker).cast(cast.schema[speaker].dataType).alias(speaker),
+            *(F.col(c).cast(cues.schema[seq].dataType).alias(c) for c in ("first_seq", "last_seq")),
+            "n_utterances",
+            F.concat_ws(" ", "_said._words").alias("words"),
         )
-        .select(file, F.col(speaker).cast(cast.schema[speaker].dataType).alias(speaker), "first_seq", "last_seq", "n_utterances", F.concat_ws(" ", "_said._words").alias("words"))
     )
+
+
+def line_templates(cues: DataFrame, cast: DataFrame) -> DataFrame:
+    """(template, n_lines, n_named, speaks): the templates of the talk files' lines."""
+    found = _heads(cues.dropna(subset=["file_id", "seq"]), cast.dropna(subset=["file_id"]), "file_id", "seq", "content", "speaker_id", "full_name", "role_label")
+    return mine_templates(found).select("template", "n_lines", "n_named", "speaks").distinct()

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from subtide.llm.lookalikes import COLLATION, consistent_forms, find_lookalikes, shape
-from subtide.llm.turns import utterances
+from subtide.llm.linetrees import Tree, label, shape, tokens
+from subtide.llm.turns import find_turns, heads, utterances
 
 CAST = ((1, "Corvane Ludovarn", "professor"), (2, "Meriet Whistoff", None))
 
@@ -30,12 +31,45 @@ def test_forms_of_a_class(spark):
     assert [tuple(r) for r in find_lookalikes(df.withColumn("k", F.lit(1)), agreed, ["k"]).collect()] == [(1, "cafe\u0301", 1, "caf\u00e9")]
 
 
+def said(text):
+    return utterances(text, [(at, end, by) for at, end, _, by in heads(text, CAST) if by])
+
+
 def test_utterances():
-    assert utterances("[00:17:43] >> Prof. Ludovarn (on phone): Um, here.", CAST) == [(1, "here.")]
-    assert utterances("LUDRVARN: It is. Whistoff, Meriet：No.", CAST) == [(1, "It is."), (2, "No.")]
-    assert utterances("- [Meriet] (sighs) Go.\n- <i>C. Ludovarn:</i> Stay.", CAST) == [(2, "Go."), (1, "Stay.")]
-    assert utterances("Note: that is all.", CAST) == [(None, "Note: that is all.")]
-    assert utterances("PROFESSOR: Uh-huh... [laughs]", CAST) == []
+    assert said("[00:17:43] >> Prof. Ludovarn (on phone): Um, here.") == [(1, "here.")]
+    assert said("LUDRVARN: It is. Whistoff, Meriet：No.") == [(1, "It is."), (2, "No.")]
+    assert said("- [Meriet] (sighs) Go.\n- <i>C. Ludovarn:</i> Stay.") == [(2, "Go."), (1, "Stay.")]
+    assert said("Note: that is all.") == [(None, "Note: that is all.")]
+    assert said("PROFESSOR: Uh-huh... [laughs]") == [] and said("") == []
+
+
+def test_line_templates():
+    assert shape(tokens("[00:17:43] >> <i>Ann B.</i>: Hi")) == "[ <time> ] >> <words> : <words>"
+    assert label(tokens("Ann (off): x")) == (0, 5) and label(tokens("[Ann] x")) == (1, 3) and label(tokens("Ann said so.")) is None
+    tree = Tree()
+    keys = [tree.add(x) for x in ("<words> : <words> ( <words> )", "<words> : <words> ( <words> ]", "<words> : <words>", "[ <words> ] <words>")]
+    assert keys[0] == keys[1] and len(set(keys)) == 3 and tree.template(keys[0]) == "<words> : <words> ( <words> *"
+
+
+def test_turns_cross_blocks(spark):
+    names = {1: "Corvane", 2: "Meriet"}
+    rows, expected, who = [], [], None
+    for seq in range(1, 200):
+        by = {0: 1, 5: 2, 6: None}.get(seq % 17)
+        rows.append((1, seq, f"{names[by]}: Word." if by else "More words." if seq % 4 else None))
+        if not rows[-1][2]:
+            continue
+        if by and by != who:
+            expected.append([by, seq, seq])
+            who = by
+        elif expected:
+            expected[-1][2] = seq
+    cue = spark.createDataFrame(rows, "file_id long, seq long, content string")
+    cast = spark.createDataFrame([(1, *p) for p in CAST], "file_id long, speaker_id long, full_name string, role_label string")
+    for block in (7, 64, 2048):
+        found = find_turns(cue, cast, block=block).orderBy("first_seq").collect()
+        assert [[r.speaker_id, r.first_seq, r.last_seq] for r in found] == expected
+    assert find_turns(cue.limit(0), cast).collect() == [] and find_turns(cue, cast.limit(0)).collect() == []
 
 
 def test_queries(spark, tmp_path):
