@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -31,6 +32,8 @@ KEPT_WORDS = 400_000
 KEPT_SEGMENTS = 150_000
 #: Characters of new words contracted by one query.
 WORDS_BYTES = 2_000_000
+#: Tokens decoded by one query.
+DECODED = 500_000
 #: Characters of text encoded in one go.
 GULP = 4_000_000
 
@@ -77,6 +80,12 @@ SELECT w, toks FROM state WHERE done ORDER BY w
 """
 
 
+_DECODE = """
+SELECT d, string_agg(spelling, '' ORDER BY p)
+FROM (SELECT d, unnest(ids) AS id, generate_subscripts(ids, 1) AS p FROM coded) JOIN vocabulary USING (id) GROUP BY d
+"""
+
+
 class Encoder:
     """Ids of texts by one vocabulary file, with memory between calls."""
 
@@ -116,6 +125,7 @@ class Encoder:
         self.fixed = {b.decode(): np.int32(i).tobytes() for i, b in self.bytes_of.items() if _decodes(b)}
         self.words: dict[str, bytes] = {}
         self.segments: dict[str, bytes] = {}
+        self.spelled = False
 
     def _by_heap(self, data: bytes) -> list[int]:
         """Contracts one long word; rank first, then place, as the query does."""
@@ -191,6 +201,28 @@ class Encoder:
         """The ids of each text; none for null or empty."""
         return [np.frombuffer(b"".join(x), np.int32) for x in self.encode_segments(texts)]
 
+    def decode_many(self, ids: pa.Array) -> list[bytes]:
+        """The bytes of each list of ids, by an ordered aggregation over its tokens; none for null."""
+        if not self.spelled:
+            known = pa.table({"id": pa.array(list(self.bytes_of), pa.int32()), "spelling": [b.hex() for b in self.bytes_of.values()]})
+            self.db.register("source", known)
+            self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM source")
+            self.db.unregister("source")
+            self.spelled = True
+        out = [b""] * len(ids)
+        sizes = np.cumsum([0 if n is None else n for n in pc.list_value_length(ids).to_pylist()])
+        begin = 0
+        while begin < len(ids):
+            # So many rows that their tokens fit the query's memory; one row at least.
+            done = int(sizes[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(sizes, done + DECODED, "right")))
+            self.db.register("coded", pa.table({"d": np.arange(begin, end), "ids": ids.slice(begin, end - begin)}))
+            for d, spelling in self.db.sql(_DECODE).fetchall():
+                out[d] = bytes.fromhex(spelling)
+            self.db.unregister("coded")
+            begin = end
+        return out
+
     def decode(self, ids: list[int] | np.ndarray) -> bytes:
         return b"".join([self.bytes_of[int(i)] for i in ids])
 

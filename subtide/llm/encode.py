@@ -37,3 +37,20 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", vocabu
 
     schema = T.StructType([T.StructField(key, key_type), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
     return df.select(key, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+
+
+def decode_corpus(df: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
+    """(key, text): the text of each row's ids, by an ordered aggregation over the tokens.
+
+    An empty or null list gives an empty text; bytes that are no UTF-8 come out
+    as U+FFFD. Rows stay one for one; other columns are not read.
+    """
+    schema = T.StructType([df.schema[key], T.StructField("text", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(vocabulary)
+        for batch in batches:
+            texts = [b.decode("utf-8", "replace") for b in enc.decode_many(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=schema.names)
+
+    return df.select(key, F.col(ids).cast("array<int>").alias("_ids")).mapInArrow(run, schema)

@@ -53,3 +53,11 @@ def test_empty_and_missing_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, ids int")
     assert sorted(((r.doc_id or 0, r.ids) for r in encode_corpus(df).collect())) == [(0, [64, 275]), (1, [64, 275]), (1, [64, 275]), (2, []), (3, [])]
     assert encode_corpus(df.limit(0)).collect() == []
+
+
+def test_decoding(spark):
+    from subtide.llm.encode import decode_corpus
+
+    texts = [(1, "It's 한글 é\n\n  x"), (2, ""), (3, None), (4, "�")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert sorted(map(tuple, decode_corpus(encode_corpus(df)).collect())) == [(k, t or "") for k, t in texts]

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from subtide.llm.lookalikes import COLLATION, consistent_forms, find_lookalikes, shape
-from subtide.llm.linetrees import Tree, label, shape, tokens
+from subtide.llm.linetrees import Tree, label, tokens
+from subtide.llm.linetrees import shape as line_shape
 from subtide.llm.turns import find_turns, heads, utterances
 
 CAST = ((1, "Corvane Ludovarn", "professor"), (2, "Meriet Whistoff", None))
@@ -44,7 +45,7 @@ def test_utterances():
 
 
 def test_line_templates():
-    assert shape(tokens("[00:17:43] >> <i>Ann B.</i>: Hi")) == "[ <time> ] >> <words> : <words>"
+    assert line_shape(tokens("[00:17:43] >> <i>Ann B.</i>: Hi")) == "[ <time> ] >> <words> : <words>"
     assert label(tokens("Ann (off): x")) == (0, 5) and label(tokens("[Ann] x")) == (1, 3) and label(tokens("Ann said so.")) is None
     tree = Tree()
     keys = [tree.add(x) for x in ("<words> : <words> ( <words> )", "<words> : <words> ( <words> ]", "<words> : <words>", "[ <words> ] <words>")]
