@@ -115,7 +115,68 @@ def _ms(group: int) -> str:
     return f"(({h} * 60 + {m}) * 60 + {s_}) * 1000 + {ms}"
 
 
+_TEXTS = "SELECT file_id, TRY(decode(content)) AS text FROM caption_file WHERE content IS NOT NULL AND {} = '{}'"
+
+
+def _trim(sql: str) -> str:
+    return f"regexp_replace({sql}, '^{_W}+|{_W}+\\z', '', 'g')"
+
+
+#: The references that stand in the data, each decoded once; the sign they begin with comes last.
+_NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\xa0", "hellip": "…", "#8211": "–", "amp": "&"}
+
+
+def decoded(sql: str) -> str:
+    """A text with its references decoded once."""
+    for name, char in _NAMED.items():
+        sql = f"replace({sql}, '&{name};', chr({ord(char)}))"
+    return sql
+
+
+def _clock(x: str) -> str:
+    """Milliseconds of HH:MM:SS.mmm."""
+    return f"((split_part({x}, ':', 1)::BIGINT * 60 + split_part({x}, ':', 2)::BIGINT) * 60 + split_part(split_part({x}, ':', 3), '.', 1)::BIGINT) * 1000 + split_part({x}, '.', 2)::BIGINT"
+
+
+_TTML = f"""WITH f AS ({_TEXTS.format(_FORMAT, 'ttml')}),
+  p AS (SELECT file_id, unnest(regexp_extract_all(replace(text, chr(13) || chr(10), chr(10)), '(?s)<p [^>]*>.*?</p>')) AS p,
+    generate_subscripts(regexp_extract_all(replace(text, chr(13) || chr(10), chr(10)), '(?s)<p [^>]*>.*?</p>'), 1) AS n FROM f),
+  c AS (SELECT file_id, n, regexp_extract(p, 'begin="([^"]*)"', 1) AS b, regexp_extract(p, 'end="([^"]*)"', 1) AS e,
+    {_trim(decoded("replace(regexp_extract(p, '(?s)^<p [^>]*>(.*)</p>$', 1), '<br/>', chr(10))"))} AS content FROM p)
+  SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY n) AS seq, n::INTEGER AS idx, {_clock('b')} AS start_ms, {_clock('e')} AS end_ms, content FROM c WHERE content <> ''"""
+
 ORACLES = {
+    "ttml_parse": _TTML,
+    "ismt_parse": _TTML,
+    # The last tag that was opened routes each text; a blank sync ends the cue before it.
+    "sami_parse": f"""WITH f AS ({_TEXTS.format(_FORMAT, 'sami')}),
+      x AS (SELECT file_id, regexp_extract_all(replace(replace(replace(replace(replace(ltrim(text, chr(65279)), '<i/>', '<i>'), ';>', '>'), '<br>', chr(10)), '<br/>', chr(10)), '<br >', chr(10)), '<[^>]*>|[^<]+|<') AS ts FROM f),
+      t AS (SELECT file_id, unnest(ts) AS tok, generate_subscripts(ts, 1) AS pos FROM x),
+      k AS (SELECT *, CASE WHEN tok LIKE '<%>' AND NOT tok LIKE '</%' THEN lower(regexp_extract(tok, '^<[ ]*([^ >]*)', 1)) END AS opened, tok LIKE '<%>' AS is_tag FROM t),
+      g AS (SELECT *, last_value(opened IGNORE NULLS) OVER w AS tag, sum(CASE WHEN opened = 'sync' THEN 1 ELSE 0 END) OVER w AS n FROM k WINDOW w AS (PARTITION BY file_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+      s AS (SELECT file_id, n, trunc(max(CASE WHEN opened = 'sync' THEN TRY_CAST(regexp_extract(tok, '(?i)start="?([0-9.]+)', 1) AS DOUBLE) END)) AS start,
+        {_trim("coalesce(string_agg(CASE WHEN tag = 'br' THEN chr(10) WHEN tag = 'i' AND trim(tok) <> '' THEN '<i>' || tok || '</i>' ELSE tok END, '' ORDER BY pos) FILTER (NOT is_tag AND tag <> 'sync'), '')")} AS content
+        FROM g WHERE n > 0 GROUP BY file_id, n),
+      r AS (SELECT *, sum(CASE WHEN content <> '' AND start IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS m FROM s),
+      e AS (SELECT file_id, m, max_by(start, n) FILTER (content = '' AND start IS NOT NULL) AS stop FROM r GROUP BY file_id, m)
+      SELECT file_id, m::BIGINT AS seq, m::INTEGER AS idx, start::BIGINT AS start_ms, coalesce(stop, start + 4000)::BIGINT AS end_ms, content FROM r JOIN e USING (file_id, m) WHERE content <> '' AND start IS NOT NULL""",
+    # A text belongs to the time line before it, up to the blank line behind its first text line.
+    "vtt_parse": f"""WITH f AS ({_TEXTS.format(_FORMAT, 'webvtt')}),
+      l AS (SELECT file_id, {_trim('unnest(string_split(text, chr(10)))')} AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM f),
+      k AS (SELECT *, CASE WHEN line = '' THEN 'B' WHEN line LIKE '% --> %' THEN 'T' ELSE 'X' END AS kind FROM l
+        WHERE NOT (starts_with(line, 'WEBVTT') OR starts_with(line, 'NOTE') OR starts_with(line, '/*') OR starts_with(line, 'X-TIMESTAMP-MAP'))),
+      t AS (SELECT *, max(CASE WHEN kind = 'T' THEN pos END) OVER (PARTITION BY file_id ORDER BY pos) AS t FROM k),
+      x AS (SELECT *, min(CASE WHEN kind = 'X' THEN pos END) OVER (PARTITION BY file_id, t) AS x1 FROM t WHERE t IS NOT NULL),
+      b AS (SELECT *, min(CASE WHEN kind = 'B' AND pos > x1 THEN pos END) OVER (PARTITION BY file_id, t) AS b1 FROM x),
+      h AS (SELECT file_id, t, max(CASE WHEN pos = t THEN line END) AS head FROM b GROUP BY file_id, t),
+      p AS (SELECT *, TRY_CAST(regexp_extract(head, ' line:([0-9.]+)%', 1) AS DOUBLE) AS place FROM h),
+      c AS (SELECT p.file_id, p.t, any_value(head) AS head, any_value(place) AS place,
+        string_agg({_trim(f"CASE WHEN place < 25 AND pos = x1 THEN '{{\\an8}}' ELSE '' END || {decoded('line')}")}, chr(10) ORDER BY pos) FILTER (kind = 'X' AND (b1 IS NULL OR pos < b1)) AS said
+        FROM p JOIN b USING (file_id, t) GROUP BY p.file_id, p.t),
+      d AS (SELECT *, {_clock("split_part(head, ' ', 1)")} AS start_ms, {_clock("split_part(head, ' ', 3)")} AS end_ms,
+        replace(replace(regexp_replace(replace(replace(coalesce(said, ''), '<i>', chr(57344)), '</i>', chr(57345)), '</?[^>\\s]+>', '', 'g'), chr(57344), '<i>'), chr(57345), '</i>') AS content FROM c),
+      n AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY start_ms, end_ms, coalesce(place, 100), t) AS n FROM d)
+      SELECT file_id, n AS seq, n::INTEGER AS idx, start_ms, end_ms, content FROM n""",
     "detect_format": f"""WITH f AS (SELECT file_id, {_FORMAT} AS format FROM caption_file WHERE content IS NOT NULL)
       SELECT file_id, format, CASE format {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in s.DISPLAY.items())} END AS name FROM f""",
     # The parse as windows over lines: a text belongs to the last time line, up to a line of digits behind its first text line.
@@ -141,3 +202,12 @@ ORACLES = {
     "output_names": r"""SELECT file_id, regexp_replace(path, '\.[^./]*$', '') || '.srt' AS converted, regexp_replace(path, '(\.[^./]+)$', '_mend\1') AS mended,
       regexp_replace(path, '(\.[^./]+)$', '_sdh_stripped\1') AS stripped FROM caption_file""",
 }
+
+_COLUMNS = "file_id, '{form}' AS format, seq, idx, start_ms, end_ms, content, NULL::VARCHAR AS error_kind, NULL::VARCHAR AS error"
+ORACLES["parse_all"] = " UNION ALL ".join(
+    [f"SELECT {_COLUMNS.format(form=form)} FROM ({ORACLES[query]})" for form, query in (("srt", "srt_parse"), ("webvtt", "vtt_parse"), ("sami", "sami_parse"), ("ttml", "ttml_parse"), ("bilibili", "bilibili_parse"))]
+    + [
+        "SELECT file_id, 'srt', NULL, NULL, NULL, NULL, NULL, 'io', 'the file is not valid UTF-8' FROM caption_file "
+        "WHERE content IS NOT NULL AND lower(path) LIKE '%.srt' AND TRY(decode(content)) IS NULL"
+    ]
+)

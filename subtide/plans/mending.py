@@ -10,6 +10,7 @@ from subtide.functions.textrules import decode_references, fix_mojibake
 from subtide.operators import mend as m
 from subtide.operators.cues import sort_cues
 from subtide.plans import re2
+from subtide.plans.formats import decoded
 from subtide.plans.model import CUES, load
 
 _CHECKED = [r for r in RULES if re2.expressible(r)]
@@ -148,6 +149,7 @@ def _alias(x: str) -> str:
 
 
 ORACLES = {
+    "mend_references": f"WITH {CUES} SELECT file_id, seq, {decoded('content')} AS content FROM cues WHERE contains(content, '&')",
     "fix_time_codes": f"""WITH {CUES}, first AS (SELECT file_id, min(seq) AS at, arg_min(start_ms // 3600000, seq) AS h FROM cues WHERE start_ms // 3600000 > 23 GROUP BY file_id)
       SELECT c.file_id, c.seq, c.start_ms - CASE WHEN c.seq >= f.at THEN f.h * 3600000 ELSE 0 END AS start_ms, c.end_ms - CASE WHEN c.seq >= f.at THEN f.h * 3600000 ELSE 0 END AS end_ms
       FROM cues c LEFT JOIN first f USING (file_id)""",
