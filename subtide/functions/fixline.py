@@ -74,7 +74,7 @@ _LINES = [
     Rule("note_behind_tag", r"(?dmU)(</[a-z]>)(\s*♪+)$", "$2$1"),
     Rule("trailing_spaces", r"(?dm) +$", ""),
     Rule("trim_lines", r"(?dU)\A\s+|\s+\z", ""),
-    Rule("after_bracket", r"(?d)(.*)([^.][\])])([A-Z][^.])", "$1$2\n$3"),
+    Rule("after_bracket", r"(?dm)^(.*)([^.][\])])([A-Z][^.])", "$1$2\n$3"),
     Rule("glued_sentences", r"(?dUs)\A(.*?(?:\A|(?<![.A-Z\s]))[!.;:?])(?<!Mr\.)(?<!Ms\.)(?<!Mrs\.)(?=[A-Z](?!\.))(.*)\z", "- $1\n- $2"),
     Rule("lone_word_line", r"(?dU)(\A<[a-z]>|\n<[a-z]>)(\w+)\n", "$1$2 "),
     Rule("missing_hyphen", r"(?dU)\A[^\S\n]*+(?!-)([^\n]*?)[^\S\n]*\n- ([A-Z][a-z][^\n]*)\z", "- $1\n- $2"),
@@ -110,7 +110,7 @@ def steps() -> list[Callable[[Column], Column]]:
 
 
 #: Plain sentences of ASCII words on one line, which no repair changes.
-PLAIN = r"\A[A-Za-z0-9]+(?:'[A-Za-z]+)?(?:,? [A-Za-z0-9]+(?:'[A-Za-z]+)?)*[.!?]?\z"
+PLAIN = r"\A[A-Za-z0-9]++(?:'[A-Za-z]++)?(?:,? [A-Za-z0-9]++(?:'[A-Za-z]++)?)*+[.!?]?\z"
 
 
 def with_fixed_text(df: DataFrame, text: str) -> DataFrame:

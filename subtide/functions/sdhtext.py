@@ -46,6 +46,18 @@ _FIRST_HYPHEN = r"(?dU)\A(<i>|\{\\an8\})?-\s*"
 BLEEPS = {"[bleep]": "", "(bleep)": ""}
 
 
+def linear(pattern: str) -> str:
+    """The pattern of a line's name for Java's engine, which tries again where the catalogue's engine does not.
+
+    White space before a name, and a name in capitals before its colon, are
+    never given back: nothing behind them could use it, but for a name of
+    blanks only, which is an empty one behind a blank here.
+    """
+    front = FRONT.replace(r"\s*", r"\s*+")
+    held = pattern.replace(FRONT + r")\s*", front + ")").replace(FRONT, front)
+    return held.replace(f"|{_CAPS}|[A-Z][a-z]+):", r"|[A-Z0-9&\[\].#' ]++\s*+|[A-Z][a-z]+|(?<= )):")
+
+
 def strip_tags(text: Column) -> Column:
     return F.regexp_replace(text, TAGS, "")
 
@@ -78,7 +90,7 @@ def clean_new_lines(text: Column) -> Column:
 
 
 def clean_inline(text: Column) -> Column:
-    return rewrite(text, INLINE)
+    return let(text, lambda t: F.when(t.rlike(r"[\[(]"), rewrite(t, INLINE)).otherwise(trim(t)))
 
 
 def _without_speaker(line: Column, pattern: str, guard: bool) -> Column:
@@ -97,8 +109,8 @@ def clean_speakers(text: Column) -> Column:
     """Lines without the names of their speakers."""
 
     def line(t: Column) -> Column:
-        named = _without_speaker(F.regexp_replace(t, r"\r\z", ""), rf"(?dU){SPEAKER_PARENTHESES}", False)
-        return let(named, lambda x: _without_speaker(x, rf"(?dU){SPEAKER}", True))
+        named = _without_speaker(F.regexp_replace(t, r"\r\z", ""), linear(rf"(?dU){SPEAKER_PARENTHESES}"), False)
+        return let(named, lambda x: _without_speaker(x, linear(rf"(?dU){SPEAKER}"), True))
 
     return trim(F.array_join(F.transform(F.split(text, "\n", -1), line), "\n"))
 

@@ -123,7 +123,7 @@ def repair_round(text: Column) -> Column:
     """
 
     def better(t: Column) -> Column:
-        once = let(_decode_spans(t), lambda one: F.struct(one.alias("one"), F.when(_as_bytes(t).rlike(rf"\A(?:[\x00-\x7f]|{_SEQUENCE})*\z"), _decode_spans(one)).alias("two")))
+        once = let(_decode_spans(t), lambda one: F.struct(one.alias("one"), F.when(~F.regexp_replace(_as_bytes(t), _SEQUENCE, "").rlike(r"[^\x00-\x7f]"), _decode_spans(one)).alias("two")))
 
         def pick(c: Column) -> Column:
             tried = F.array(t, c["one"], F.coalesce(c["two"], c["one"]))

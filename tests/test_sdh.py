@@ -34,3 +34,8 @@ def test_extra_patterns(spark):
     assert said(strip_sdh(texts(spark, ["all of it"]), [".*"])) == []
     with pytest.raises(ValueError, match="unclosed"):
         strip_sdh(texts(spark, ["x"]), [r"\bfine\b", "[unclosed"])
+
+
+def test_long_texts_end(spark):
+    rows = [" " * 3000 + "x", "A " * 3000, "<i>" + " " * 3000 + ": b", "[" * 3000, "word " * 40_000]
+    assert said(strip_sdh(texts(spark, rows)))[2] == "b"
