@@ -65,7 +65,6 @@ def _character_maps() -> tuple[dict[str, str], dict[str, str]]:
 
 _ONE, _MANY = _character_maps()
 _FROM, _TO = "".join(_ONE), "".join(_ONE.values())
-_TRIGGER = "[" + "".join(_MANY) + "]"
 
 
 def shape(content: str) -> Column:
@@ -74,7 +73,8 @@ def shape(content: str) -> Column:
 
     # Each step is bound to a variable, so that no rewrite of the plan evaluates it twice.
     def spelt(text: Column) -> Column:
-        return F.when(text.rlike(_TRIGGER), F.aggregate(pairs, text, lambda t, p: F.replace(t, p["c"], p["to"]))).otherwise(text)
+        # A table of characters is looked up far faster than a class of them is matched.
+        return F.when(F.translate(text, "".join(_MANY), "") != text, F.aggregate(pairs, text, lambda t, p: F.replace(t, p["c"], p["to"]))).otherwise(text)
 
     def seen(text: Column) -> Column:
         bare = F.regexp_replace(F.regexp_replace(text, _SPACE, " "), _GLYPHLESS, "")
