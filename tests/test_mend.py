@@ -183,4 +183,4 @@ def test_right_to_left_and_compatibility_forms(spark):
 def test_long_texts_end(spark):
     rows = [" " * 3000 + "x", "é" * 60_000, "Ã©" * 30_000, "a." * 20_000, "<i>" * 3000, "&amp;" * 3000, "word " * 40_000]
     found = said(mend(texts(spark, rows)))
-    assert found[0] == "x" and found[1] == "é" * 60_000 and found[2] == "é" * 30_000 and found[6] == ("word " * 40_000).strip()
+    assert found[0] == "x" and found[1] == "é" * 60_000 and found[2] == "é" * 30_000 and found[-1] == ("word " * 40_000).strip()
